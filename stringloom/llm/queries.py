@@ -14,6 +14,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stringloom.llm.byte_bpe import encode_frame
+
+    return encode_frame(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stringloom.llm.secret_scan import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stringloom.llm.simhash import near_duplicates
 
@@ -26,7 +40,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_simhash, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_byte_bpe, op5_secret_scan, op6_simhash, op8_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
