@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from stringloom.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stringloom.llm.quality_classifier import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stringloom.llm.exact_dedup import exact_dedup
 
@@ -34,13 +40,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stringloom.llm.packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stringloom.llm.quality_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_byte_bpe, op5_secret_scan, op6_simhash, op8_quality_rules)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stringloom.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_exact_dedup, op4_byte_bpe, op5_secret_scan, op6_simhash, op7_best_fit, op8_quality_rules, op9_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
