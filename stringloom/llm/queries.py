@@ -14,6 +14,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stringloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stringloom.llm.exact_dedup import exact_dedup
 
@@ -58,7 +64,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_exact_dedup, op4_byte_bpe, op5_secret_scan, op6_simhash, op7_best_fit, op8_quality_rules, op9_language_id)}
+def op10_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stringloom.llm.passages import near_passages
+
+    return near_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extract, op3_exact_dedup, op4_byte_bpe, op5_secret_scan, op6_simhash, op7_best_fit, op8_quality_rules, op9_language_id, op10_near_passages)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
