@@ -64,16 +64,17 @@ def counts_of(text: bytes) -> tuple[int, int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines)
 
 
-def base_stats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, COUNTS, n_lines and base_failed for every row."""
+def base_stats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``carry``, COUNTS, n_lines and base_failed for every row."""
     names = [*COUNTS, "n_lines"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = list(zip(*(counts_of(x.as_py()) for x in batch.column("__text")), strict=True))
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{n: pa.array(v, pa.int64()) for n, v in zip(names, rows, strict=True)}})
+        return pa.RecordBatch.from_pydict({**{n: batch.column(n) for n in ("doc_id", *carry)}, **{n: pa.array(v, pa.int64()) for n, v in zip(names, rows, strict=True)}})
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    out = map_batches(df.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("__text")), run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    kept = [f"doc_id {df.schema[doc_id].dataType.simpleString()}", *(f"{c} {df.schema[c].dataType.simpleString()}" for c in carry)]
+    cols = df.select(F.col(doc_id).alias("doc_id"), *carry, as_bytes(text).alias("__text"))
+    out = map_batches(cols, run, ", ".join([*kept, *(f"{n} long" for n in names)]))
     return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
@@ -123,14 +124,14 @@ def certified(stats: DataFrame, good: DataFrame, *, alpha: float = 0.04, delta:
     return out
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", *, label_id: str = "doc_id", quality: str = "quality", alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
-    """One row per input row: doc_id, COUNTS, base_failed, kept.
+def quality_rules(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", *, label_id: str = "doc_id", quality: str = "quality", alpha: float = 0.04, delta: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, the columns ``carry``, COUNTS, base_failed, kept.
 
     ``kept`` is false for ``base_failed`` and for a ratio above its certified cutoff.
     """
-    stats = checkpoint(base_stats(df, doc_id, text))
+    stats = checkpoint(base_stats(df, doc_id, text, carry=carry))
     good = labels.filter(F.col(quality) == 1).select(F.col(label_id).alias("doc_id"))
     cuts, by = certified(stats, good, alpha=alpha, delta=delta), ratios()
     bad = [(stratum() == s) & (by[name] > cut) for (s, name), cut in sorted(cuts.items())]
     verdict = ~F.col("base_failed") & ~reduce(lambda a, b: a | b, bad, F.lit(False))
-    return stats.select("doc_id", *COUNTS, "base_failed", verdict.alias("kept"))
+    return stats.select("doc_id", *carry, *COUNTS, "base_failed", verdict.alias("kept"))

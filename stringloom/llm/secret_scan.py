@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import checkpoint
+from stringloom.llm.common import checkpoint, maybe_broadcast
 
 #: Kind -> pattern; a match stands if KEEP holds for it. Matches do not overlap within a kind.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -61,13 +61,13 @@ def _matches(text: Column, pattern: str) -> Column:
 
 
 def candidates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, value: int = 12) -> DataFrame:
-    """row, doc_id and one array of spans per kind, strong and weak."""
+    """row, doc_id, text hash and one array of spans per kind, strong and weak."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.select(F.col(doc_id).alias("doc_id"), *(_matches(t, p).alias(k) for k, p in PATTERNS.items()))
+    df = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("sig"), *(_matches(t, p).alias(k) for k, p in PATTERNS.items()))
     size = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2))
     bare = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     return df.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
+        F.monotonically_increasing_id().alias("row"), "doc_id", "sig",
         bare(F.filter("assign", lambda x: size(x) >= value)).alias("assign"), bare("access").alias("access"), bare("hex").alias("hex"),
         bare("weak_id").alias("weak_id"), bare(F.filter("assign", lambda x: size(x) < value)).alias("weak_secret"), bare("endpoint").alias("endpoint"),
     )
@@ -96,17 +96,41 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", name(x), x["s"], x["e"])), ",")
 
 
+def _scanned(df: DataFrame, doc_id: str, text: str, scope: int) -> DataFrame:
+    """doc_id, sig, the base counts, and ``base`` and ``more`` as arrays of (s, k, e)."""
+    found = checkpoint(candidates(df, doc_id, text))
+    rank = {k: i for i, k in enumerate(KINDS)}
+    kind = F.expr("case kind " + " ".join(f"when '{k}' then {i}" for k, i in rank.items()) + " end")
+    more = linked(found, scope).select("row", F.struct("s", kind.alias("k"), "e").alias("x")).groupBy("row").agg(F.collect_list("x").alias("more"))
+    placed = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(rank[k]).alias("k"), x["e"].alias("e")))
+    base = found.select("row", "doc_id", "sig", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.concat(*(placed(k) for k in BASE)).alias("base"))
+    none = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
+    return base.join(more, "row", "left").withColumn("more", F.coalesce("more", none))
+
+
 def secret_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, scope: int = SCOPE) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     ``spans`` holds base and linked spans as ``kind:start:end``, code points, end exclusive.
     """
-    found = checkpoint(candidates(df, doc_id, text))
-    rank = {k: i for i, k in enumerate(KINDS)}
-    more = linked(found, scope).select("row", F.struct("s", F.expr("case kind " + " ".join(f"when '{k}' then {i}" for k, i in rank.items()) + " end").alias("k"), "e").alias("x"))
-    more = more.groupBy("row").agg(F.collect_list("x").alias("more"))
-    placed = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(rank[k]).alias("k"), x["e"].alias("e")))
-    base = found.select("row", "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.concat(*(placed(k) for k in BASE)).alias("base"))
-    out = base.join(more, "row", "left")
-    none = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
-    return out.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    out = _scanned(df, doc_id, text, scope)
+    return out.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "more")).alias("spans"))
+
+
+def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, scope: int = SCOPE, mask: str = "[secret]") -> DataFrame:
+    """``df`` with every span of its texts, overlapping ones as one, replaced by ``mask``; all columns stay."""
+    spans = _scanned(df, doc_id, text, scope).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.array_sort(F.concat("base", "more")).alias("__spans"))
+    spans = checkpoint(spans.filter(F.size("__spans") > 0).dropDuplicates(["__id", "__sig"]))
+    spans = maybe_broadcast(spans, spans.count(), 256)
+    same = df[doc_id].eqNullSafe(spans["__id"]) & (F.xxhash64(F.coalesce(df[text], F.lit(""))) == spans["__sig"])
+    cut = lambda t, a, b: F.substring(t, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["s"] >= acc["at"]
+        grown = F.when(fresh, F.concat(acc["out"], cut(F.col(text), acc["at"], x["s"]), F.lit(mask))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), grown.alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], cut(F.col(text), acc["at"], F.length(F.col(text)).cast("bigint"))))
+    out = df.join(spans, same, "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean))
+    return out.drop("__id", "__sig", "__spans")
