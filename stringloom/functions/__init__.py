@@ -1,0 +1 @@
+"""The predicates as SQL functions."""

@@ -1,0 +1 @@
+"""The codec and everything that runs on token arrays."""

@@ -1,0 +1 @@
+"""Where encoded columns are kept: Parquet folders and packed blobs."""

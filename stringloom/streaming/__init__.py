@@ -1,0 +1 @@
+"""Predicates and codec on Structured Streaming DataFrames."""
