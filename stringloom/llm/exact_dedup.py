@@ -97,8 +97,8 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, h
     ).select("doc_id", "n_chars", "h0", "h1", "h2", "norm_len", "sha")
 
     # The row's own number keeps rows apart that repeat an id.
-    big = src.filter(F.length("__t") > huge).select(
-        "doc_id", n_chars, F.monotonically_increasing_id().alias("rid"),
+    big = src.filter(F.length("__t") > huge).withColumn("rid", F.monotonically_increasing_id()).select(
+        "doc_id", n_chars, "rid",
         F.sha2(F.translate("__t", SPACE.decode(), ""), 256).alias("sha"),
         F.posexplode(F.expr(f"transform(sequence(0, cast((length(__t) - 1) / {huge} as int)), i -> substring(__t, i * {huge} + 1, {huge}))")).alias("piece", "__p"),
     )
