@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
@@ -16,25 +19,40 @@ SMALL = 1024
 MEMO = 1 << 16
 
 
+def encode_array(values: pa.Array, dictionary: Dictionary) -> pa.ListArray:
+    """Greedy parses of an Arrow array of binary or string values; null for null."""
+    parse, memo, rows = dictionary.matcher.encode, {}, []
+    for x in values.cast(pa.binary()):
+        raw = x.as_py()
+        if raw is None:
+            rows.append(())
+            continue
+        if (own := memo.get(raw)) is None:
+            own = parse(raw)
+            if len(raw) <= 256 and len(memo) < MEMO:
+                memo[raw] = own
+        rows.append(own)
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=values.is_null() if values.null_count else None)
+
+
+def decode_array(tokens: pa.ListArray, dictionary: Dictionary) -> pa.BinaryArray:
+    """The values of token lists: one concatenation and its offsets; null for null."""
+    offsets = tokens.offsets.to_numpy()
+    flat = tokens.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    data = b"".join(map(dictionary.tokens.__getitem__, flat.tolist()))
+    ends = np.r_[0, np.cumsum(dictionary.lengths[flat])][offsets - offsets[0]].astype(np.int64)
+    out = pa.Array.from_buffers(pa.large_binary(), len(tokens), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
+    return pc.if_else(tokens.is_null(), pa.scalar(None, pa.binary()), out) if tokens.null_count else out
+
+
 def tokens_of(values: Column, dictionary: Dictionary) -> Column:
     """BINARY -> ARRAY<INT>, the greedy parse of each value; null for null."""
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode(batch: pa.Array) -> pa.Array:
-        parse, memo, rows = dictionary.matcher.encode, {}, []
-        for x in batch:
-            raw = x.as_py()
-            if raw is None:
-                rows.append(())
-                continue
-            if (own := memo.get(raw)) is None:
-                own = parse(raw)
-                if len(raw) <= 256 and len(memo) < MEMO:
-                    memo[raw] = own
-            rows.append(own)
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        flat = np.fromiter((t for r in rows for t in r), dtype=np.int32, count=int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=batch.is_null() if batch.null_count else None)
+        return encode_array(batch, dictionary)
 
     return encode(values)
 
@@ -47,11 +65,6 @@ def bytes_of(tokens: Column, dictionary: Dictionary, *, native: bool | None = No
 
     @F.arrow_udf(BinaryType())
     def decode(batch: pa.Array) -> pa.Array:
-        offsets = batch.offsets.to_numpy()
-        flat = batch.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-        data = b"".join(map(dictionary.tokens.__getitem__, flat.tolist()))
-        ends = np.r_[0, np.cumsum(dictionary.lengths[flat])][offsets - offsets[0]]
-        out = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-        return pa.array([None if n else v for n, v in zip(batch.is_null().to_pylist(), out.to_pylist(), strict=True)], pa.binary()) if batch.null_count else out.cast(pa.binary())
+        return decode_array(batch, dictionary)
 
     return decode(tokens)

@@ -154,3 +154,16 @@ def test_bad_blobs():
             read_blob(bad)
     with pytest.raises(ValueError):
         write_blob([], Dictionary(sorted({*BASE, *(bytes([a, b]) for a in range(16) for b in range(256))})), 10)
+
+
+def test_arrow_arrays():
+    import pyarrow as pa
+
+    from stringloom.operators.encode import decode_array, encode_array
+
+    for values in (pa.array([b"user_1", None, b"", b"\xff\x00"], pa.binary()), pa.array(["é", "", None, "user_000001"]), pa.array([], pa.string())):
+        for part in (values, values[1:]):  # slices have offsets of their own
+            tokens = encode_array(part, D)
+            assert decode_array(tokens, D).to_pylist() == part.cast(pa.binary()).to_pylist()
+    tokens = encode_array(pa.array([b"user_1", None, b"", b"\xff\x00"]), D)
+    assert decode_array(tokens[2:], D).to_pylist() == [b"", b"\xff\x00"]
