@@ -130,7 +130,7 @@ FP = ["h0", "h1", "h2", "norm_len"]
 
 def collisions(df: DataFrame, prints: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints under which texts differ, by comparing the chunks of all texts that share one."""
-    shared = prints.groupBy(*FP).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = checkpoint(prints.groupBy(*FP).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     members = checkpoint(prints.join(shared, FP, "left_semi").select("doc_id", *FP).distinct())
     members = maybe_broadcast(members, members.count(), 48)
     texts = df.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("__text"))
@@ -161,11 +161,14 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hu
     The row with the most code points stays, then the smallest id.
     """
     prints = checkpoint(fingerprints(df, doc_id, text, huge=huge, primes=primes))
-    clash = collisions(df, prints, doc_id, text).withColumn("clash", F.lit(True))
-    prints = prints.join(clash, FP, "left").withColumn("part", F.when(F.col("clash"), F.col("sha")).otherwise(F.lit(""))).drop("clash")
-    key = [*FP, "part"]
     first = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))
-    groups = prints.groupBy(*key).agg(F.min(first).alias("first"), F.count("*").alias("group_size")).select(*key, F.col("first.id").alias("keep_id"), "group_size")
-    return prints.join(groups, key).select(
+    groups = prints.groupBy(*FP, "sha").agg(F.min(first).alias("first"), F.count("*").alias("n"))
+    # Texts under a fingerprint without a collision are equal, whatever their digests would say.
+    clash = collisions(df, prints, doc_id, text).withColumn("clash", F.lit(True))
+    groups = groups.join(clash, FP, "left").withColumn("part", F.when(F.col("clash"), F.col("sha")).otherwise(F.lit("")))
+    classes = groups.groupBy(*FP, "part").agg(F.min("first").alias("first"), F.sum("n").alias("group_size"), F.collect_set("sha").alias("shas"))
+    # Written out, so that the last join has plain exchanges on both sides and a hot group can be split.
+    classes = checkpoint(classes.select(*FP, F.explode("shas").alias("sha"), F.col("first.id").alias("keep_id"), "group_size"))
+    return prints.join(classes, [*FP, "sha"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )

@@ -1,9 +1,11 @@
 """Connected components by rounds of contraction, all in DataFrames.
 
 Each round every node moves to the neighbour with the smallest hash (or stays),
-and the edges are rewritten between the nodes that remain.  The hash changes by
-round, so a constant share of the nodes goes each time, whatever the shape of
-the graph.  The maps of all rounds are then applied in order.
+and the edges are rewritten between the nodes that remain.  Two rounds share a
+hash: the first moves a hub to its smallest neighbour, the second then moves all
+of its other neighbours there.  After that the hash changes, so that a constant
+share of the nodes goes each time, whatever the shape of the graph.  The maps of
+all rounds are then applied in order.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     while not e.isEmpty():
         k = len(steps)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        order = lambda c: F.struct(F.xxhash64(F.lit(k // 2), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         step = both.groupBy("a").agg(F.min(order("b")).alias("m"))
         step = checkpoint(step.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["id"].alias("to")))
         steps.append(step)

@@ -204,7 +204,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     docs = checkpoint(fingerprints(df, doc_id, text, words=words, seed=seed))
     nodes = checkpoint(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     root = components(links(nodes, radius=radius, limit=limit))
-    named = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
+    # Written out before each join, so that it has plain exchanges on both sides and a hot key can be split.
+    named = checkpoint(nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = checkpoint(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = checkpoint(named.join(least, "root").select("fp", "component_id"))
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
