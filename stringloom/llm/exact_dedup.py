@@ -131,7 +131,10 @@ FP = ["h0", "h1", "h2", "norm_len"]
 def collisions(df: DataFrame, prints: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints under which texts differ, by comparing the chunks of all texts that share one."""
     shared = checkpoint(prints.groupBy(*FP).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
-    members = checkpoint(prints.join(shared, FP, "left_semi").select("doc_id", *FP).distinct())
+    shared = maybe_broadcast(shared, shared.count(), 64)
+    # Grouped by one struct, so that the rows of a hot fingerprint are dealt out again by their ids.
+    members = prints.join(shared, FP, "left_semi").select(F.struct("doc_id", *FP).alias("m")).distinct()
+    members = checkpoint(members.select("m.*"))
     members = maybe_broadcast(members, members.count(), 48)
     texts = df.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("__text"))
     named = texts.join(members, texts.doc_id.eqNullSafe(members.doc_id)).select(*FP, "__text")
