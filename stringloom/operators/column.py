@@ -13,6 +13,7 @@ from stringloom.operators.config import TrainingConfig
 from stringloom.operators.dictionary import Dictionary
 from stringloom.operators.encode import bytes_of, tokens_of
 from stringloom.operators.ordering import running
+from stringloom.operators.shared import checkpoint
 from stringloom.operators.trainer import train_dictionary, value_bytes
 from stringloom.plans.predicate import Contains, ContainsAny, Equals, Predicate, StartsWith, custom
 
@@ -90,7 +91,8 @@ class EncodedColumn:
     def decompress_offsets(self, name: str = "value", offset: str = "offset") -> DataFrame:
         """Every row's value and its first byte in the concatenation of all values in key order."""
         rows = self.decompress_all(name).withColumn("__bytes", F.octet_length(name).cast("long"))
-        return running(rows, self.key, "__bytes", offset).select(self.key, name, offset)
+        # Written out, so that sampling the key's ranges does not decode every row once more.
+        return running(checkpoint(rows), self.key, "__bytes", offset).select(self.key, name, offset)
 
     def token_rows(self) -> DataFrame:
         """One row a token: key, pos, token."""

@@ -6,6 +6,7 @@ from bisect import bisect_left
 from dataclasses import dataclass
 from functools import cached_property
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,6 +106,15 @@ class Dictionary:
     def matcher(self) -> Matcher:
         return Matcher({t: i for i, t in enumerate(self.tokens)})
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Leftmost longest matches over Latin-1 text, one character a byte; ids as values."""
+        out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, t in enumerate(self.tokens):
+            out.add_word(t.decode("latin-1"), i)
+        out.make_automaton()
+        return out
+
     @cached_property
     def lengths(self) -> np.ndarray:
         return np.array([len(t) for t in self.tokens], dtype=np.int64)
@@ -146,6 +156,10 @@ class Dictionary:
         """The tokens that encoding gives ``text``."""
         return self.matcher.encode(text.encode() if isinstance(text, str) else bytes(text))
 
+    def parse(self, data: bytes) -> list[int]:
+        """The same tokens, for bulk encoding: every byte is a token, so leftmost longest matches leave no gap."""
+        return [t for _, t in self.automaton.iter_long(data.decode("latin-1"))]
+
     def decode(self, tokens) -> bytes:
         return b"".join(map(self.tokens.__getitem__, tokens))
 

@@ -21,7 +21,7 @@ MEMO = 1 << 16
 
 def encode_array(values: pa.Array, dictionary: Dictionary) -> pa.ListArray:
     """Greedy parses of an Arrow array of binary or string values; null for null."""
-    parse, memo, rows = dictionary.matcher.encode, {}, []
+    parse, memo, rows = dictionary.parse, {}, []
     for x in values.cast(pa.binary()):
         raw = x.as_py()
         if raw is None:

@@ -42,6 +42,9 @@ def encoded(spark: SparkSession, sf_dir: str, table: str, key: str, col: str, co
     name = (spark.sparkContext.applicationId, sf_dir, table, col, config)
     if name not in _TRAINED:
         _TRAINED[name] = train_dictionary(df, key, col, config)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:  # a small table in one piece; larger ones are encoded where they are read
+        df = df.select(key, col).repartition(cores)
     return encode_column(df, key, col, config, _TRAINED[name])
 
 

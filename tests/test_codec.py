@@ -167,3 +167,19 @@ def test_arrow_arrays():
             assert decode_array(tokens, D).to_pylist() == part.cast(pa.binary()).to_pylist()
     tokens = encode_array(pa.array([b"user_1", None, b"", b"\xff\x00"]), D)
     assert decode_array(tokens[2:], D).to_pylist() == [b"", b"\xff\x00"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([0, 97, 98, 255]), min_size=2, max_size=16).map(bytes), max_size=25), st.lists(st.sampled_from([0, 97, 98, 99, 255]), max_size=120).map(bytes))
+def test_bulk_parse_is_the_greedy_parse(tokens, data):
+    d = with_base(*tokens)
+    assert d.parse(data) == d.tokenize(data) and d.decode(d.parse(data)) == data
+
+
+def test_bulk_parse_under_a_full_dictionary():
+    rng = random.Random(8)
+    more = {rng.randbytes(rng.randint(2, 16)) for _ in range(40_000)}
+    more |= {bytes([a, b]) for a in range(256) for b in range(0, 256, 2)}
+    d = with_base(*sorted(more)[: (1 << 16) - 256])
+    for row in corpus(50, 400, 9, 0, 255) + [b"".join(rng.sample(d.tokens, 60)) for _ in range(20)]:
+        assert d.parse(row) == d.tokenize(row)
