@@ -15,7 +15,8 @@ within ``scope`` code points:
 
 Identifiers are ``access`` and ``weak_id``; secrets are ``assign``, ``hex`` and
 ``weak_secret``.  The join is an equi-join on (row, position bucket) with a range
-condition; a part is listed in the buckets that its scope touches, so the work
+condition; a weak part is listed in the buckets of its whole span,
+the others in those that their scope touches, so the work
 grows with the text, not with the square of the parts.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are
@@ -79,12 +80,12 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = found.filter(some("assign", "hex", "weak_secret") & some("access", "weak_id") & some("weak_id", "weak_secret", "endpoint"))
     part = lambda k: F.transform(k, lambda x: F.struct(F.lit(k).alias("kind"), F.lit(ROLE[k]).alias("role"), x["s"].alias("s"), x["e"].alias("e")))
     parts = rows.select("row", F.explode(F.concat(*(part(k) for k in KINDS))).alias("p")).select("row", "p.*")
-    weak = parts.filter(F.col("kind").isin("weak_id", "weak_secret", "endpoint")).withColumn("bucket", F.floor(F.col("s") / scope))
+    weak = parts.filter(F.col("kind").isin("weak_id", "weak_secret", "endpoint")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / scope), F.floor(F.col("e") / scope))))
     near = parts.filter("role != 'place'").select(
         "row", F.col("role").alias("other"), F.col("s").alias("low"), F.col("e").alias("high"),
         F.explode(F.sequence(F.floor((F.col("s") - scope) / scope), F.floor((F.col("e") + scope) / scope))).alias("bucket"),
     )
-    pairs = weak.join(near, ["row", "bucket"]).filter((F.col("s") >= F.col("low") - scope) & (F.col("s") <= F.col("high") + scope))
+    pairs = weak.join(near, ["row", "bucket"]).filter((F.col("e") >= F.col("low") - scope) & (F.col("s") <= F.col("high") + scope))
     has = lambda role: F.max((F.col("other") == role).cast("int")) == 1
     sides = pairs.groupBy("row", "kind", "s", "e").agg(has("secret").alias("secret"), has("id").alias("id"))
     return sides.filter("case kind when 'weak_id' then secret when 'weak_secret' then id else secret and id end").select("row", "kind", "s", "e")
