@@ -79,24 +79,40 @@ class Lines(HTMLParser):
         self.region = self.regions = self.drops = self.tags = 0
         self.inside = 0  # depth of article and main
         self.text: list[str] = []
+        self.lost: list[str] = []  # text of dropped elements; what came before them waits in ``text``
+        self.at = 0  # region of ``text``
 
     def flush(self) -> None:
-        if self.text:
-            if text := " ".join("".join(self.text).split()):
-                self.lines.append((text, self.tags, self.region, not self.drops))
+        """End the line of dropped text inside dropped elements, else that of the block."""
+        self._line(self.lost, self.region, False)
+        if not self.drops:
+            self._line(self.text, self.at, True)
+
+    def _line(self, parts: list[str], region: int, keep: bool) -> None:
+        if parts:
+            if text := " ".join("".join(parts).split()):
+                self.lines.append((text, self.tags, region, keep))
                 self.tags = 0
-            self.text.clear()
+            parts.clear()
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] in ("script", "style"):
             return
+        self._add(data)
+
+    def _add(self, data: str) -> None:
+        if self.drops:
+            self.lost.append(data)
+            return
+        if not self.text:
+            self.at = self.region
         self.text.append(data)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.text.append(" ")
+                self._add(" ")
             elif tag == "hr":
                 self.flush()
             return
@@ -140,7 +156,9 @@ class Lines(HTMLParser):
                 return
 
     def _pop(self, k: int) -> None:
-        self.flush()
+        self._line(self.lost, self.region, False)
+        if any(tag in BLOCKS for tag, _, drops in self.stack[k:] if not drops):
+            self._line(self.text, self.at, True)  # a block around the text ends
         for tag, region, drops in reversed(self.stack[k:]):
             self.region, self.drops = region, drops
             self.inside -= tag in CONTENT
@@ -182,6 +200,7 @@ def main_text(html: str | None) -> str:
     page = Lines()
     page.feed(html)
     page.close()
+    page.drops = 0  # what never closed ends here
     page.flush()
     lines = page.lines
     if not any(keep for *_, keep in lines):
