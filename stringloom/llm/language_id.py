@@ -9,8 +9,9 @@ is marked ``rejected``: it is too far from everything known.
 
 Trigrams are taken over bytes with A-Z lower-cased and runs outside letters
 blank.  Fitting reads a bounded sample: the ``per_lang`` smallest hashes of a
-language in expectation, at most twice that over all, no text over
-``max_chars``.  Prediction reads every text whole.
+language in expectation, at most twice that over all, of texts of ``min_chars``
+to ``max_chars``; a language without such gives its other texts that hold a
+letter, cut at ``max_chars``.  Prediction reads every text whole.
 
 Defined results: ``und`` for a null text and one without a letter, score 0.
 Without any labelled text every row is ``und``.  Other columns are ignored.
@@ -117,12 +118,18 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def training_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", *, per_lang: int = 400, max_chars: int = 16384, min_chars: int = 20) -> list[tuple[bytes, str]]:
     """The bounded sample of (text, language), outside the held-out fold, ordered by hash."""
     size = F.length(F.col(text))
-    known = df.filter(F.col(lang).isNotNull() & (fold(doc_id) != 2) & size.between(min_chars, max_chars)).select(
-        F.col(lang).alias("lang"), F.col(text).cast("binary").alias("t"), F.xxhash64(F.col(doc_id)).alias("h")
+    fits = size.between(min_chars, max_chars)
+    known = df.filter(F.col(lang).isNotNull() & (fold(doc_id) != 2) & (fits | F.rlike(F.col(text), F.lit(r"\p{L}")))).select(
+        F.col(lang).alias("lang"), F.substring(F.col(text), 1, max_chars).cast("binary").alias("t"), F.xxhash64(F.col(doc_id)).alias("h"), fits.alias("fits")
     )
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one number a language
-    if not counts:
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("fits").alias("fit")).collect()  # two numbers a language
+    if not found:
         return []
+    counts = {r["lang"]: r["fit"] or r["n"] for r in found}
+    if other := [r["lang"] for r in found if not r["fit"]]:
+        known = known.filter(F.col("fits") | F.col("lang").isin(other))
+    else:
+        known = known.filter("fits")
     # A language keeps the hashes below its share of the range.
     share = F.create_map(*(F.lit(v) for x, n in sorted(counts.items()) for v in (x, min(1.0, per_lang / n))))
     keep = F.col("h").cast("double") < (share[F.col("lang")] * 2 - 1) * float(2**63)
