@@ -6,8 +6,7 @@ before; lines belong to regions, which are the page's ``article`` or ``main``
 elements or, outside them, the containers directly around the text.  The ratios
 of characters to tags are smoothed along the page with a Gaussian and split in
 two by threshold clustering.  Regions that reach the upper cluster are content,
-as are ``article`` and ``main`` elements with text; where the page has such an
-element, nothing outside it is.  A content region is kept whole, short lines
+as are ``article`` and ``main`` elements with text whatever their ratio.  A content region is kept whole, short lines
 included, except lines inside elements that announce themselves as something
 else: menus, page headers, footers, sidebars, notices, adverts, forms, reader
 comments, scripts, styles and hidden elements.
@@ -206,10 +205,9 @@ def main_text(html: str | None) -> str:
     if not any(keep for *_, keep in lines):
         return ""
     named = {r for _, _, r, keep in lines if keep and r in page.named}
-    if not named:
-        score = smoothed([log1p(len(t) / max(1, n)) for t, n, _, _ in lines])
-        cut = threshold(score)
-        named = {r for (_, _, r, keep), s in zip(lines, score, strict=True) if keep and s >= cut}
+    score = smoothed([log1p(len(t) / max(1, n)) for t, n, _, _ in lines])
+    cut = threshold(score)
+    named |= {r for (_, _, r, keep), s in zip(lines, score, strict=True) if keep and s >= cut}
     return "\n".join(t for t, _, r, keep in lines if keep and r in named)
 
 

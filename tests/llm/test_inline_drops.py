@@ -13,3 +13,9 @@ def test_text_before_an_inline_dropped_element_stays(drop):
 def test_text_before_an_element_that_never_closes_stays():
     assert main_text("<article><p>Intro <span class=ad>b</p></article>") == "Intro"
     assert main_text("<p>Intro <span class=ad>b") == "Intro"
+
+
+def test_a_story_outside_the_only_article_is_kept():
+    story = "".join(f"<p>{'A long sentence of the story goes on. ' * 8}{i}</p>" for i in range(8))
+    text = main_text(f"<body><div>{story}</div><article class=teaser><a href=x>Read more</a></article></body>")
+    assert text.count("long sentence") == 64
