@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Broadcast a side only when its counted rows times a stated width stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch that a worker is given at a time.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +41,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches were limited to ``BATCH_BYTES``, unless the user set a limit.
+
+    Workers hold a batch and what they make of it, so this bounds their memory
+    whatever the lengths of the texts; a text longer than that is a batch alone.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name, None) in (None, "67108864b"):  # Spark's default
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def as_bytes(text: str) -> Column:

@@ -14,8 +14,10 @@ more than one row per chunk and task.  A fingerprint whose members differ
 somewhere is a collision; its members are told apart by their digests.
 
 Defined results: a null text counts as empty, and all empty texts are equal.
-A null id sorts after every other id.  Rows that repeat an id are rows like any
-other.  Other columns of the input are ignored, whatever their names.
+Very long texts are hashed in pieces.  A null id sorts after every other id.
+Exactly one row of a group is kept; of rows tied in code points and id it is any
+one.  An empty table gives no rows.  Other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import as_bytes, checkpoint, map_batches, maybe_broadcast
+from stringloom.llm.common import BATCH_BYTES, as_bytes, bounded, checkpoint, map_batches, maybe_broadcast
 
 SPACE = b" \t\n\x0b\x0c\r"
 PRIMES = (2147483647, 2147483629, 2147483587)
 BASES = (911382323, 972663749, 1367130551)
 CHUNK = 1 << 16
-#: Code points from which a text is hashed by several tasks.
+#: Bytes from which a text is hashed by several tasks.
 HUGE = 1 << 22
+FP = ["h0", "h1", "h2", "norm_len"]
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -71,46 +74,61 @@ def fingerprint(data: bytes, primes=PRIMES) -> tuple[int, ...]:
     return acc
 
 
-def _hashed(primes):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [x.translate(None, SPACE) for x in batch.column("__text").to_pylist()]
-        prints = [fingerprint(x, primes) for x in rows]
-        cols = {n: batch.column(n) for n in batch.schema.names if n != "__text"}
-        cols |= {f"h{k}": pa.array([p[k] for p in prints], pa.int64()) for k in range(3)}
-        cols["norm_len"] = pa.array([len(x) for x in rows], pa.int64())
-        if "sha" not in cols:
-            cols["sha"] = pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
-        return pa.RecordBatch.from_pydict(cols)
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, huge: int = HUGE, primes=PRIMES) -> DataFrame:
+    """row, doc_id, n_chars, h0, h1, h2, norm_len, sha for each row, written out; ``row`` numbers the rows.
 
-    return run
+    The table is read once.  A text of more than ``huge`` bytes leaves that pass
+    in pieces, which are hashed in parallel and folded.
+    """
+    kind = df.schema[doc_id].dataType.simpleString()
+    src = df.select(F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row"), as_bytes(text).alias("__text"))
+    names = ["doc_id", "n_chars", "row", "piece", "h0", "h1", "h2", "norm_len", "sha", "data"]
+    types = [None, pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.binary()]
 
+    def made(rows, like):
+        types[0] = like.schema.field("doc_id").type
+        return pa.RecordBatch.from_pydict({n: pa.array(v, t) for n, t, v in zip(names, types, zip(*rows, strict=True), strict=True)})
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, huge: int = HUGE, primes=PRIMES) -> DataFrame:
-    """doc_id, n_chars, h0, h1, h2, norm_len, sha for each row; huge texts are hashed in parallel pieces."""
-    kind = df.schema[doc_id].dataType.simpleString()
-    src = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    n_chars = F.length("__t").cast("long").alias("n_chars")
-    tail = "h0 long, h1 long, h2 long, norm_len long"
-    whole = map_batches(
-        src.filter(F.length("__t") <= huge).select("doc_id", n_chars, F.col("__t").cast("binary").alias("__text")),
-        _hashed(primes), f"doc_id {kind}, n_chars long, {tail}, sha string",
-    ).select("doc_id", "n_chars", "h0", "h1", "h2", "norm_len", "sha")
-
-    # The row's own number keeps rows apart that repeat an id.
-    big = src.filter(F.length("__t") > huge).withColumn("rid", F.monotonically_increasing_id()).select(
-        "doc_id", n_chars, "rid",
-        F.sha2(F.translate("__t", SPACE.decode(), ""), 256).alias("sha"),
-        F.posexplode(F.expr(f"transform(sequence(0, cast((length(__t) - 1) / {huge} as int)), i -> substring(__t, i * {huge} + 1, {huge}))")).alias("piece", "__p"),
-    )
-    big = map_batches(
-        big.repartition("rid", "piece").select("doc_id", "n_chars", "rid", "piece", "sha", F.col("__p").cast("binary").alias("__text")),
-        _hashed(primes), f"doc_id {kind}, n_chars long, rid long, piece int, sha string, {tail}",
-    )
-    return whole.unionByName(_fold_pieces(big, primes))
+    def run(batches):
+        for batch in batches:
+            out, held = [], 0
+            ids, sizes, nums = (batch.column(c).to_pylist() for c in ("doc_id", "n_chars", "row"))
+            for i, n, k, raw in zip(ids, sizes, nums, batch.column("__text"), strict=True):
+                raw = raw.as_py()  # one text at a time
+                if len(raw) <= huge:
+                    raw = raw.translate(None, SPACE)
+                    out.append((i, n, k, None, *fingerprint(raw, primes), len(raw), hashlib.sha256(raw).hexdigest(), None))
+                    continue
+                sha, first = hashlib.sha256(), len(out)
+                for piece, at in enumerate(range(0, len(raw), huge)):
+                    part = raw[at : at + huge].translate(None, SPACE)
+                    sha.update(part)
+                    out.append((i, n, k, piece, None, None, None, len(part), None, part))
+                    held += len(part)
+                out[first] = (*out[first][:8], sha.hexdigest(), out[first][9])
+                if held > huge:
+                    yield made(out, batch)
+                    out, held = [], 0
+            if out:
+                yield made(out, batch)
+
+    found = checkpoint(bounded(src).mapInArrow(run, f"doc_id {kind}, n_chars long, row long, piece int, h0 long, h1 long, h2 long, norm_len long, sha string, data binary"))
+    keep = ["row", "doc_id", "n_chars", *FP, "sha"]
+    big = found.filter("piece is not null")
+    if big.isEmpty():
+        return found.select(*keep)
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = [fingerprint(x.as_py(), primes) for x in batch.column("data")]
+        cols = {n: batch.column(n) for n in names if n not in ("h0", "h1", "h2", "data")}
+        return pa.RecordBatch.from_pydict(cols | {f"h{k}": pa.array([p[k] for p in prints], pa.int64()) for k in range(3)})
+
+    pieces = map_batches(big.repartition("row", "piece"), hashed, f"doc_id {kind}, n_chars long, row long, piece int, norm_len long, sha string, h0 long, h1 long, h2 long")
+    return checkpoint(found.filter("piece is null").select(*keep).unionByName(_fold_pieces(pieces, primes).select(*keep)))
 
 
 def _fold_pieces(pieces: DataFrame, primes) -> DataFrame:
-    """One row per text from the hashes of its pieces (a few numbers per piece of ``HUGE`` code points)."""
+    """One row per text from the hashes of its pieces (a few numbers per piece of ``HUGE`` bytes)."""
 
     def run(part):
         rows = sorted(part.to_pylist(), key=lambda r: r["piece"])
@@ -118,14 +136,11 @@ def _fold_pieces(pieces: DataFrame, primes) -> DataFrame:
         for r in rows:
             acc, n = compose(acc, (r["h0"], r["h1"], r["h2"]), r["norm_len"], primes), n + r["norm_len"]
         r = rows[0]
-        out = {"doc_id": [r["doc_id"]], "n_chars": [r["n_chars"]], "h0": [acc[0]], "h1": [acc[1]], "h2": [acc[2]], "norm_len": [n], "sha": [r["sha"]]}
+        out = {"row": [r["row"]], "doc_id": [r["doc_id"]], "n_chars": [r["n_chars"]], "h0": [acc[0]], "h1": [acc[1]], "h2": [acc[2]], "norm_len": [n], "sha": [r["sha"]]}
         return pa.table({k: pa.array(v, part.schema.field(k).type) for k, v in out.items()})
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.groupBy("rid").applyInArrow(run, f"doc_id {kind}, n_chars long, h0 long, h1 long, h2 long, norm_len long, sha string")
-
-
-FP = ["h0", "h1", "h2", "norm_len"]
+    return pieces.groupBy("row").applyInArrow(run, f"row long, doc_id {kind}, n_chars long, h0 long, h1 long, h2 long, norm_len long, sha string")
 
 
 def collisions(df: DataFrame, prints: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,21 +154,30 @@ def collisions(df: DataFrame, prints: DataFrame, doc_id: str = "doc_id", text: s
     texts = df.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("__text"))
     named = texts.join(members, texts.doc_id.eqNullSafe(members.doc_id)).select(*FP, "__text")
 
+    def made(seen):
+        return pa.RecordBatch.from_pydict({
+            **{c: pa.array([k[i] for k in seen], pa.int64()) for i, c in enumerate(FP)},
+            "chunk": pa.array([k[4] for k in seen], pa.int64()), "bytes": pa.array([k[5] for k in seen], pa.binary()),
+        })
+
     def run(batches):
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in FP), strict=True))
-            seen = {}
-            for key, raw in zip(keys, batch.column("__text").to_pylist(), strict=True):
-                data = raw.translate(None, SPACE)
-                if len(data) == key[3]:  # an id repeated with another text is no member
-                    for at in range(0, len(data), CHUNK):
-                        seen[key + (at // CHUNK, data[at : at + CHUNK])] = None
-            yield pa.RecordBatch.from_pydict({
-                **{c: pa.array([k[i] for k in seen], pa.int64()) for i, c in enumerate(FP)},
-                "chunk": pa.array([k[4] for k in seen], pa.int64()), "bytes": pa.array([k[5] for k in seen], pa.binary()),
-            })
-
-    chunks = named.mapInArrow(run, "h0 long, h1 long, h2 long, norm_len long, chunk long, bytes binary")
+            seen, held = {}, 0  # copies in a batch give their chunks once
+            for *key, raw in zip(*(batch.column(c).to_pylist() for c in FP), batch.column("__text"), strict=True):
+                data = raw.as_py().translate(None, SPACE)
+                if len(data) != key[3]:
+                    continue  # an id repeated with another text is no member
+                for at in range(0, len(data), CHUNK):
+                    part = (*key, at // CHUNK, data[at : at + CHUNK])
+                    if part not in seen:
+                        seen[part] = None
+                        held += len(part[5])
+                if held > BATCH_BYTES:
+                    yield made(seen)
+                    seen, held = {}, 0
+            yield made(seen)
+
+    chunks = bounded(named).mapInArrow(run, "h0 long, h1 long, h2 long, norm_len long, chunk long, bytes binary")
     distinct = chunks.groupBy(*FP, "chunk", "bytes").agg(F.lit(1).alias("one"))
     return distinct.groupBy(*FP, "chunk").agg(F.count("*").alias("texts")).filter("texts > 1").select(*FP).distinct()
 
@@ -163,15 +187,14 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hu
 
     The row with the most code points stays, then the smallest id.
     """
-    prints = checkpoint(fingerprints(df, doc_id, text, huge=huge, primes=primes))
-    first = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))
+    prints = fingerprints(df, doc_id, text, huge=huge, primes=primes)
+    # The row's number makes the row that stays one of those that repeat an id.
+    first = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("row"))
     groups = prints.groupBy(*FP, "sha").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     # Texts under a fingerprint without a collision are equal, whatever their digests would say.
     clash = collisions(df, prints, doc_id, text).withColumn("clash", F.lit(True))
     groups = groups.join(clash, FP, "left").withColumn("part", F.when(F.col("clash"), F.col("sha")).otherwise(F.lit("")))
     classes = groups.groupBy(*FP, "part").agg(F.min("first").alias("first"), F.sum("n").alias("group_size"), F.collect_set("sha").alias("shas"))
     # Written out, so that the last join has plain exchanges on both sides and a hot group can be split.
-    classes = checkpoint(classes.select(*FP, F.explode("shas").alias("sha"), F.col("first.id").alias("keep_id"), "group_size"))
-    return prints.join(classes, [*FP, "sha"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    classes = checkpoint(classes.select(*FP, F.explode("shas").alias("sha"), F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"))
+    return prints.join(classes, [*FP, "sha"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -76,7 +76,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents),
-k AS (SELECT t, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM d GROUP BY t)
-SELECT d.doc_id, k.keep_id, k.group_size, d.doc_id IS NOT DISTINCT FROM k.keep_id AS kept, sha256(d.t) AS text_sha256
-FROM d JOIN k USING (t)""",
+k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST) AS place FROM d)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY place) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       place = 1 AS kept, sha256(t) AS text_sha256
+FROM k""",
 }

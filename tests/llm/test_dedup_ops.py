@@ -1,5 +1,6 @@
 """Grouping operators against brute force."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -20,16 +21,15 @@ def docs(spark):
 
 
 def dedup_brute(rows):
+    """As the contract says: of each group of equal texts one row stays, the one with most code points, then the smallest id."""
+    norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows]
     groups = {}
-    for i, t in rows:
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i))
-    import hashlib
-
+    for k, n in enumerate(norm):
+        groups.setdefault(n, []).append(k)
     out = []
-    for i, t in rows:
-        n = re.sub(r"[\x20\x09-\x0D]", "", t or "")
-        keep = min(groups[n])[3]
-        out.append((i, keep, len(groups[n]), i == keep, hashlib.sha256(n.encode()).hexdigest()))
+    for n, own in groups.items():
+        own.sort(key=lambda k: (-len(rows[k][1] or ""), rows[k][0] is None, rows[k][0] or 0))
+        out += [(rows[k][0], rows[own[0]][0], len(own), k == own[0], hashlib.sha256(n.encode()).hexdigest()) for k in own]
     return out
 
 
@@ -53,6 +53,14 @@ def test_exact_dedup(spark, huge):
     assert exact_dedup.exact_dedup(df.filter("false"), huge=huge).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_a_repeated_id(spark):
+    rows = [(1, "a b"), (1, "ab"), (2, "ab"), (3, "c"), (3, "c"), (None, "c"), (None, "d"), (None, "d ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = list(map(tuple, exact_dedup.exact_dedup(df).collect()))
+    assert sorted(map(repr, got)) == sorted(map(repr, dedup_brute(rows)))
+    assert sum(r[3] for r in got) == 3
+
+
 def test_exact_dedup_survives_collisions(spark):
     """Tiny moduli make different texts of one length collide; comparison tells them apart."""
     rng = random.Random(3)
