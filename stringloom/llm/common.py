@@ -73,3 +73,28 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 def fold_py(doc_id: int | None) -> int:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 4
+
+
+def named_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, mask: int = -1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, member, nodes): texts named by ``node``, a long that no two unlike texts share.
+
+    ``docs`` holds (doc_id, node, __text) of every row and is read again each time
+    it is used; ``member`` holds (doc_id, node); ``nodes`` holds, for each text,
+    its smallest non-null id ``first``, ``copies``, and whether its first id is
+    ``repeats``.  The name is a 64-bit hash (under ``mask``); texts that share one,
+    as 124-bit digests tell, are named by another hash.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    one = F.xxhash64(body).bitwiseAND(F.lit(mask).cast("long"))
+    two = F.conv(F.substring(F.md5(body.cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = checkpoint(df.select(F.col(doc_id).alias("doc_id"), one.alias("one"), two.alias("two")))
+    # Some forty texts in 10**11 share a name, so the list is short.
+    shared = [r["one"] for r in rows.groupBy("one").agg(F.min("two").alias("x"), F.max("two").alias("y")).filter("x != y").collect()]
+    name = (lambda a, b: F.when(a.isin(shared), b).otherwise(a)) if shared else (lambda a, b: a)
+    member = rows.select("doc_id", name(F.col("one"), F.col("two")).alias("node"))
+    ids = member.groupBy("node", "doc_id").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "n"))
+    nodes = ids.groupBy("node").agg(least.alias("f"), F.sum("n").alias("copies"))
+    nodes = checkpoint(nodes.select("node", F.col("f.doc_id").alias("first"), (F.col("f.n") > 1).alias("repeats"), "copies"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), name(one, two).alias("node"), body.cast("binary").alias("__text"))
+    return docs, member, nodes

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from stringloom.llm import exact_dedup, graph, passages, simhash
+from stringloom.llm import common, exact_dedup, graph, passages, simhash
 from stringloom.llm.exact_dedup import compose, fingerprint
 from tests.llm.test_simple_ops import AWKWARD
 
@@ -183,8 +183,10 @@ def test_compact_windows():
     got = Counter((int(np.searchsorted(bounds, x, "right") - 1), int(a), int(x), int(b)) for a, x, b in zip(l, c, r, strict=True))
     want = Counter((k, a + bounds[k], x + bounds[k], b + bounds[k]) for k, h in enumerate(runs) for a, x, b in windows_brute(h.tolist(), 46))
     assert got == want
-    same = np.full(500, 7, dtype=np.uint64)
-    assert len(passages.compact_windows(same, np.array([0, 500]), 46)[0]) == 1
+    same = np.full(500, 7, dtype=np.uint64)  # a place for each tie, but two rows for each key
+    assert len(passages.compact_windows(same, np.array([0, 500]), 46)[0]) == 500
+    key, _, c = passages.keyed_windows([same], t=46, hashes=1)
+    assert len(set(key.tolist())) == 2 and sum(b.num_rows for b in passages._within(key, np.zeros(len(key), np.int64), c, True)) == 4
 
 
 def test_passages(spark, docs):
@@ -258,3 +260,97 @@ def test_variants_of_one_text_are_linked_through_any_of_them(spark):
     assert len({find(i) for i in range(len(rows))}) < len(rows) / 2
     assert sum(got[i] == got[find(i)] for i in range(len(rows))) >= 0.98 * len(rows)
     assert all(got[i] // 14 == i // 14 for i in got)
+
+
+def text_frame(spark, rows):
+    return spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize(("passage", "notice"), [(55, 45), (60, 30)])
+def test_passages_around_a_common_notice(spark, passage, notice):
+    """Every text has the notice, which is no passage by itself; pairs share the words around it."""
+    rng = random.Random(passage)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    common, rows = fresh(notice), []
+    for k in range(150):
+        left = rng.randint(0, passage - notice)
+        shared = [*fresh(left), *common, *fresh(passage - notice - left)]
+        rows += [(2 * k + v, fresh(rng.randint(20, 60)) + shared + fresh(rng.randint(20, 60))) for v in (0, 1)]
+    rows += [(1000 + k, fresh(60) + common + fresh(60)) for k in range(100)]
+    got = {r.doc_id: r for r in passages.near_passages(text_frame(spark, rows)).collect()}
+    assert all(got[2 * k].class_id == got[2 * k + 1].class_id and got[2 * k].n_links for k in range(150))
+
+
+def test_edited_passages_against_brute_force(spark):
+    """Isolated pairs of passages with edits; at least nine in ten of those with Jaccard 0.8 are found, for each number of edits."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, wanted, n = [], {}, 0
+    for size, edits in ((52, 1), (80, 1), (80, 2), (120, 3), (200, 4), (200, 5)):
+        for _ in range(150):
+            a = fresh(size)
+            b = list(a)
+            for at in rng.sample(range(size), edits):
+                b[at] = f"e{rng.randint(0, 10**9)}"
+            x, y = grams(a), grams(b)
+            rows += [(2 * n, fresh(30) + a + fresh(30)), (2 * n + 1, fresh(30) + b + fresh(30))]
+            wanted.setdefault((size, edits), []).append((n, len(x & y) / len(x | y) >= 0.8))
+            n += 1
+    got = {r.doc_id: r.class_id for r in passages.near_passages(text_frame(spark, rows)).collect()}
+    assert all(got[i] // 2 == i // 2 for i in got)
+    for own in wanted.values():
+        real = [k for k, near in own if near]
+        found = sum(got[2 * k] == got[2 * k + 1] for k in real)
+        assert real and found >= 0.95 * len(real)
+
+
+def test_repeated_rows_cost_no_more_than_others(spark):
+    rng = random.Random(22)
+    a = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+    b = a[:200] + ["other"] + a[200:]
+    df = text_frame(spark, [(1, a)] * 2000 + [(2, b)] * 2000)
+    got = passages.near_passages(df).groupBy("doc_id", "class_id", "n_links", "spans").count().collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r["count"]) for r in got) == [(1, 1, 2000, 2000), (2, 1, 2000, 2000)]
+
+
+def test_all_places_of_a_passage_are_reported(spark):
+    rng = random.Random(23)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    p = fresh(60)
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in passages.near_passages(text_frame(spark, [(1, fresh(40) + p), (2, p + fresh(100) + p + fresh(9))])).collect()}
+    assert got == {1: [(40, 100)], 2: [(0, 60), (160, 220)]}
+
+
+def test_long_texts_are_read_in_stretches(spark, monkeypatch):
+    rng = random.Random(24)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    w = fresh(4000)
+    full = passages.word_hashes(" ".join(w).encode())
+    for start, own in passages.stretches(" ".join(w).encode(), 50, 700):
+        assert (full[start : start + len(own)] == own).all()
+    parts = [(s, x) for s, x in passages.stretches(" ".join(w).encode(), 50, 700)]
+    for i in range(len(w) - 49):  # every passage lies whole in a stretch
+        assert any(s <= i and i + 50 <= s + len(x) for s, x in parts)
+
+
+def test_window_hashes():
+    rng = np.random.default_rng(4)
+    for t in (1, 2, 3, 45, 46, 64):
+        s = rng.integers(0, 4, 300, dtype=np.uint32)
+        w = passages.window_hashes(s, t)
+        key = [s[i : i + t].tobytes() for i in range(len(s) - t + 1)]
+        assert len(w) == len(key) and len(set(zip(w.tolist(), key, strict=True))) == len(set(key)) == len(set(w.tolist()))
+        assert len(passages.window_hashes(s[: t - 1], t)) == 0
+
+
+def test_texts_that_share_a_name_get_others(spark):
+    df = spark.createDataFrame([(i, f"text {i // 2}") for i in range(40)] + [(None, "text 1"), (3, "text 1")], "doc_id bigint, text string")
+    for mask in (-1, 3):
+        docs, member, nodes = common.named_texts(df, mask=mask)
+        by = {}
+        for r in docs.collect():
+            by.setdefault(r.node, set()).add(bytes(r["__text"]))
+        assert len(by) == 20 and all(len(x) == 1 for x in by.values())
+        assert {r.node for r in member.collect()} == set(by) and nodes.count() == 20
+        assert {(r.first, r.repeats, r.copies) for r in nodes.collect()} == {(2 * k, False, 2) for k in range(20) if k != 1} | {(2, False, 4)}
