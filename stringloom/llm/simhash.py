@@ -114,14 +114,47 @@ def lanes_within(planes: np.ndarray, query: np.ndarray, word: np.ndarray, lanes:
     return at[lanes != 0], lanes[lanes != 0]
 
 
-def forest(fps: np.ndarray, group: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, j) of a spanning forest of the links inside each run of equal ``group``."""
-    n = len(fps)
-    change = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-    end = np.repeat(change[1:], np.diff(change))
-    lane, root = np.arange(n), np.arange(n)
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry of three bits in every lane."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
+
+
+def lanes_within_any(planes: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """``lanes_within`` for any radius: eight planes at a time go through a carry-save tree into seven counters."""
+    at, count = np.arange(len(query)), [np.zeros(len(query), dtype=np.uint64) for _ in range(7)]
+    for b in range(0, 64, 8):
+        x = [planes[p][word] ^ -((query >> np.uint64(p)) & ONE) for p in range(b, b + 8)]
+        fours = []
+        for k in (0, 4):
+            count[0], t = _add(count[0], x[k], x[k + 1])
+            count[0], u = _add(count[0], x[k + 2], x[k + 3])
+            count[1], f = _add(count[1], t, u)
+            fours.append(f)
+        count[2], carry = _add(count[2], *fours)
+        for k in range(3, 7):
+            count[k], carry = count[k] ^ carry, count[k] & carry
+        over, equal = np.zeros_like(lanes), ~np.zeros_like(lanes)
+        for k in range(6, -1, -1):  # lanes whose count exceeds the radius
+            if radius >> k & 1:
+                equal = equal & count[k]
+            else:
+                over, equal = over | (equal & count[k]), equal & ~count[k]
+        lanes = lanes & ~over
+        if b >= radius:  # whole words may be beyond it
+            live = lanes != 0
+            if not live.all():
+                at, query, word, lanes = at[live], query[live], word[live], lanes[live]
+                count = [c[live] for c in count]
+            if not len(at):
+                break
+    return at[lanes != 0], lanes[lanes != 0]
+
+
+def _tasks(end: np.ndarray):
+    """(query, word, eligible lanes), some TASKS at a time, to compare every i with i + 1 ... end[i] - 1."""
+    lane = np.arange(len(end))
     has = np.flatnonzero(end > lane + 1)
-    planes = planes_of(fps)
     first, last = (has + 1) // 64, (end[has] - 1) // 64
     upto = np.cumsum(last - first + 1)
     low = 0
@@ -131,11 +164,39 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int = 3) -> tuple[np.ndar
         q = np.repeat(has[low:high], reps)
         w = np.repeat(first[low:high], reps) + np.arange(len(q)) - np.repeat(np.cumsum(reps) - reps, reps)
         a, z = np.maximum(q + 1 - w * 64, 0), np.minimum(end[q] - w * 64, 64)  # eligible lanes a ... z-1
-        ok = (np.uint64(0xFFFFFFFFFFFFFFFF) << a.astype(np.uint64)) & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - z).astype(np.uint64))
-        hit, lanes = lanes_within(planes, fps[q], w, ok, radius)
-        t, k = np.nonzero(np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        _hook(root, q[hit][t], w[hit][t] * 64 + k)
+        yield q, w, (np.uint64(0xFFFFFFFFFFFFFFFF) << a.astype(np.uint64)) & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - z).astype(np.uint64))
         low = high
+
+
+def _pairs(query: np.ndarray, word: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, position) of every lane that is set."""
+    t, k = np.nonzero(np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return query[t], word[t] * 64 + k
+
+
+def near_lanes(fps: np.ndarray, end: np.ndarray, radius: int, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j < end[i], of fingerprints within ``radius``, and all such pairs with i or j in ``every``."""
+    planes, found = planes_of(fps), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    some = np.zeros(planes.shape[1] * 64, dtype=np.uint8)
+    some[: len(every)] = every
+    some = np.packbits(some, bitorder="little").view(np.uint64)
+    for q, w, lanes in _tasks(end):
+        near = np.where(every[q], lanes, lanes & some[w])
+        hit, own = lanes_within_any(planes, fps[q], w, lanes, radius)
+        near[hit] |= own
+        found.append(_pairs(q, w, near))
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+
+def forest(fps: np.ndarray, group: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) of a spanning forest of the links inside each run of equal ``group``."""
+    change = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    end = np.repeat(change[1:], np.diff(change))
+    lane, root = np.arange(len(fps)), np.arange(len(fps))
+    planes = planes_of(fps)
+    for q, w, ok in _tasks(end):
+        hit, lanes = lanes_within(planes, fps[q], w, ok, radius)
+        _hook(root, *_pairs(q[hit], w[hit], lanes))
     own = np.flatnonzero(root != lane)
     return own, root[own]
 
@@ -199,6 +260,13 @@ def links(nodes: DataFrame, *, radius: int = 3, limit: int = LIMIT, distinct: in
     return listed.mapInArrow(run, "a long, b long")
 
 
+def similar_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: doc_id, component_id, of texts linked at a Jaccard similarity instead of a radius; see ``near_copies``."""
+    from stringloom.llm.near_copies import near_copies
+
+    return near_copies(df, doc_id, text, words=words, similarity=similarity)
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 3, seed: int = 42, radius: int = 3, limit: int = LIMIT) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
     docs = checkpoint(fingerprints(df, doc_id, text, words=words, seed=seed))

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from stringloom.llm.near_copies import near_copies
+from stringloom.llm import simhash
+from stringloom.llm.near_copies import apart, near_copies
 
 
 def shingles(text):
@@ -39,7 +41,7 @@ def edited(rng, words, n):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("limit", [2, 32])
+@pytest.mark.parametrize("limit", [8, 2048])
 def test_near_copies_equal_brute_force(spark, limit):
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(3000)}"
@@ -56,6 +58,29 @@ def test_near_copies_equal_brute_force(spark, limit):
     assert dict(map(tuple, got.collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("radius", [4, 13, 22, 31])
+def test_bit_sliced_comparison_of_any_radius(radius):
+    rng = np.random.default_rng(radius)
+    f = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    flips = np.packbits(rng.random((150, 64)) < rng.random((150, 1)) * 0.5, axis=1).view(np.uint64).ravel()
+    f = np.r_[f, f ^ flips]
+    end = np.where(np.arange(300) < 220, 220, 300)
+    every = rng.random(300) < 0.02
+    want = {(i, j) for i in range(300) for j in range(i + 1, end[i]) if every[i] or every[j] or bin(int(f[i]) ^ int(f[j])).count("1") <= radius}
+    got = list(zip(*(x.tolist() for x in simhash.near_lanes(f, end, radius, every)), strict=True))
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_lists_are_compared_across_classes_and_slices(spark):
+    rng = np.random.default_rng(1)
+    fp = rng.integers(0, 2**64, 1, dtype=np.uint64).view(np.int64)[0]
+    rows = [(k % 2, node, 100, int(fp), node % 3) for k, node in enumerate(range(60))]
+    lists = spark.createDataFrame(rows, "key bigint, node bigint, n int, fp bigint, root bigint")
+    want = {(b, a) for ka, a, *_, ra in rows for kb, b, *_, rb in rows if a < b and ka == kb and ra != rb}
+    for limit in (4, 100):
+        assert {tuple(r) for r in apart(lists, 0.8, limit).collect()} == want
+
+
 def test_pipeline_drops_copies_beyond_three_bits(spark):
     rng = random.Random(5)
     texts = [t for _ in range(20) for t in edited(rng, [f"w{rng.randrange(9**6)}" for _ in range(120)], 5)]
