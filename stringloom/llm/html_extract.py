@@ -4,21 +4,26 @@ The standard library's parser streams a page as events.  They form lines, one
 for each block of text, with its characters and the tags met since the line
 before; lines belong to regions, which are the page's ``article`` or ``main``
 elements or, outside them, the containers directly around the text.  The ratios
-of characters to tags are smoothed along the page with a Gaussian and split in
-two by threshold clustering.  Regions that reach the upper cluster are content,
-as are ``article`` and ``main`` elements with text whatever their ratio.  A content region is kept whole, short lines
-included, except lines inside elements that announce themselves as something
-else: menus, page headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts, styles and hidden elements.
+of characters to tags are smoothed along the page with a Gaussian, ``article``
+and ``main`` raise theirs by a prior, and the lines that may be content are split
+in two by threshold clustering.  Regions that reach the upper cluster are content,
+on every page.  A content region is kept whole, short lines included, except lines
+inside elements that announce themselves as something else: menus, page headers,
+footers, sidebars, notices, adverts, forms, reader comments, scripts, styles and
+hidden elements.  A class or id announces that only by words that say nothing
+else: ``cookie-notice`` does, ``notice-board`` does not.
 
 Defined results: a null, empty or text-free page gives the empty text.  Markup
-that never closes is closed by its container.  Rows that repeat a page are
-extracted each; other input columns are ignored.
+that never closes is closed by its container.  A page is parsed whole, whatever
+its length or depth.  Regions with equal ratios are all kept or all left out.
+Rows that repeat a page are extracted each; an empty table gives no rows; other
+input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 from math import exp, log1p
 
@@ -41,11 +46,26 @@ WORDS = frozenset(
     "navigation breadcrumb breadcrumbs pager pagination footer masthead comment comments commentlist disqus replies share sharing social related recommended newsletter subscribe "
     "signup login popup modal overlay widget toolbar skip".split()
 )
-SPLIT = re.compile(r"[^a-z]+")
+#: Words that may stand beside one of WORDS in a name.
+BESIDE = frozenset(
+    "area article bar block bottom box btn button buttons col column container content desktop entry fixed float floating form global group head header icon icons inline inner "
+    "input item items large leaderboard left link links list main message mobile msg outer page panel policy post primary reader rectangle right row secondary section site "
+    "skyscraper slot small sticky story text title top unit user wrap wrapper".split()
+)
+SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 SIGMA, REACH = 1.5, 4
+#: What an article or main element adds to its lines' logarithmic ratios.
+PRIOR = 1.5
 _KERNEL = [exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(REACH + 1)]
 
 
+@lru_cache(maxsize=1 << 14)
+def _says(name: str) -> bool:
+    """Whether one class or id names something that is not content, and nothing else."""
+    words = {w.lower() for w in SPLIT.split(name) if w}
+    return not WORDS.isdisjoint(words) and words <= WORDS | BESIDE
+
+
 def _announced(tag: str, attrs: list) -> bool:
     """Whether an element says by its attributes that it is not content."""
     for name, value in attrs:
@@ -54,7 +74,7 @@ def _announced(tag: str, attrs: list) -> bool:
         if not value:
             continue
         if name in ("class", "id"):
-            if tag not in ("html", "body", "main") and not WORDS.isdisjoint(SPLIT.split(value.lower())):
+            if tag not in ("html", "body", "main") and any(map(_says, value.split())):
                 return True
         elif name == "role":
             if value.lower() in ROLES:
@@ -204,11 +224,11 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not any(keep for *_, keep in lines):
         return ""
-    named = {r for _, _, r, keep in lines if keep and r in page.named}
     score = smoothed([log1p(len(t) / max(1, n)) for t, n, _, _ in lines])
-    cut = threshold(score)
-    named |= {r for (_, _, r, keep), s in zip(lines, score, strict=True) if keep and s >= cut}
-    return "\n".join(t for t, _, r, keep in lines if keep and r in named)
+    able = [(x + PRIOR * (r in page.named), r) for x, (_, _, r, keep) in zip(score, lines, strict=True) if keep]
+    cut = threshold([x for x, _ in able])
+    chosen = {r for x, r in able if x >= cut}
+    return "\n".join(t for t, _, r, keep in lines if keep and r in chosen)
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
