@@ -19,8 +19,10 @@ condition; a weak part is listed in the buckets of its whole span,
 the others in those that their scope touches, so the work
 grows with the text, not with the square of the parts.
 
-Defined results: a null text counts as empty and has no spans; repeated rows are
-scanned each; other input columns are ignored.
+Defined results: a null text counts as empty and has no spans.  Long texts are
+scanned whole; their positions are added up in blocks.  Spans that start together
+are ordered by kind.  Repeated rows are scanned each; an empty table gives no
+rows; other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,17 +49,37 @@ SCOPE = 200
 SPAN = "array<struct<s:bigint,e:bigint,m:string>>"
 
 
+#: Matches whose positions are added up at a time; more make blocks, so that no array grows by its whole length match by match.
+BLOCK = 512
+
+
+def _running(sizes: Column) -> Column:
+    """(sum before, sum with) of every element of an array of longs."""
+    pair = "array<struct<a:bigint,b:bigint>>"
+
+    def step(acc: Column, n: Column) -> Column:
+        e = acc["at"] + n
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), e.alias("b")))).alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(pair).alias("out"))
+    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """All matches as (start, end, matched text), found left to right without overlap."""
     rows = F.arrays_zip(F.split(text, F.lit(pattern), -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    rows = F.filter(rows, lambda x: x["hit"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("m")))).alias("out"))
+    def placed(rows: Column, at: Column) -> Column:
+        sizes = F.transform(rows, lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("bigint"))
+        return F.zip_with(rows, _running(sizes), lambda x, r: F.struct((at + r["b"] - F.length(x["hit"])).alias("s"), (at + r["b"]).alias("e"), x["hit"].alias("m")))
+
+    def in_blocks(rows: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda k: F.slice(rows, k * BLOCK + 1, F.lit(BLOCK)))
+        total = lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"]))
+        return F.flatten(F.zip_with(blocks, _running(F.transform(blocks, total)), lambda b, r: placed(b, r["a"])))
 
-    found = F.aggregate(F.filter(rows, lambda x: x["hit"].isNotNull()), start, step, lambda acc: acc["out"])
+    found = F.element_at(F.transform(F.array(rows), in_blocks), 1)
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
 
 
@@ -119,7 +141,12 @@ def secret_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, sc
 
 
 def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, scope: int = SCOPE, mask: str = "[secret]") -> DataFrame:
-    """``df`` with every span of its texts, overlapping ones as one, replaced by ``mask``; all columns stay."""
+    """``df`` with every span of its texts, overlapping ones as one, replaced by ``mask``; all columns stay.
+
+    The work grows with spans times length in a single text, as each cut counts
+    code points from the text's beginning.
+    """
+    kept = df.columns
     spans = _scanned(df, doc_id, text, scope).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.array_sort(F.concat("base", "more")).alias("__spans"))
     spans = checkpoint(spans.filter(F.size("__spans") > 0).dropDuplicates(["__id", "__sig"]))
     spans = maybe_broadcast(spans, spans.count(), 256)
@@ -128,10 +155,11 @@ def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, scope:
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["at"]
-        grown = F.when(fresh, F.concat(acc["out"], cut(F.col(text), acc["at"], x["s"]), F.lit(mask))).otherwise(acc["out"])
+        grown = F.when(fresh, F.concat(acc["out"], F.array(cut(df[text], acc["at"], x["s"])))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), grown.alias("out"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], cut(F.col(text), acc["at"], F.length(F.col(text)).cast("bigint"))))
-    out = df.join(spans, same, "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean))
-    return out.drop("__id", "__sig", "__spans")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    last = lambda acc: F.array(cut(df[text], acc["at"], F.length(df[text]).cast("bigint")))
+    clean = F.aggregate(spans["__spans"], start, step, lambda acc: F.array_join(F.concat(acc["out"], last(acc)), mask))
+    out = df.join(spans, same, "left").select(*(F.when(spans["__spans"].isNull(), df[c]).otherwise(clean).alias(c) if c == text else df[c] for c in kept))
+    return out
