@@ -9,8 +9,10 @@ model.  Decoding maps ids back to token bytes.
 
 Each worker memoises pre-tokens in a table of bounded size.
 
-Defined results: a null text counts as empty and has no tokens.  Other columns
-of the input are ignored; repeated rows are encoded each.
+Defined results: a null text counts as empty and has no tokens.  Texts are
+encoded whole, whatever their length; of equally good merges the leftmost is
+taken, as the vocabulary's library does.  Repeated rows are encoded each; an empty
+table gives no rows.  Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ class Memo(dict):
         super().__init__()
         self.make, self.limit = make, limit
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> bytes | int:
         out = self.make(key)
         if len(key) <= 64:
             if len(self) >= self.limit:
@@ -116,6 +118,8 @@ class Codec:
         self.token = Memo(self._token, memo)
         self.word = Memo(lambda w: self._plain(" " + w), memo)
         self.by_word = pattern == SPACE_LED
+        self.size = Memo(lambda t: len(self._token(t)) // 4, memo)
+        self.word_size = Memo(lambda w: self._count(" " + w), memo)
 
     def _token(self, token: str) -> bytes:
         raw = token.encode()
@@ -134,6 +138,16 @@ class Codec:
         first, *rest = text.split(" ")
         return self._plain(first) + b"".join(map(self.word.__getitem__, rest))
 
+    def _count(self, text: str) -> int:
+        return sum(map(self.size.__getitem__, self.split(text)))
+
+    def count(self, text: str) -> int:
+        """The number of tokens of ``encode``, without making them."""
+        if not self.by_word or AWKWARD(text):
+            return self._count(text)
+        first, *rest = text.split(" ")
+        return self._count(first) + sum(map(self.word_size.__getitem__, rest))
+
     def decode(self, ids: bytes) -> bytes:
         words = array("I", ids)
         if not _LITTLE:
@@ -146,13 +160,30 @@ def _codec(digest: str, blob, pattern: str) -> Codec:
     return Codec({t: i for i, t in enumerate(blob.value)}, pattern)
 
 
-def encode_frame(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, ids: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``ids`` also the id array."""
+def _shipped(df: DataFrame, ranks_path: str):
+    """The vocabulary's digest and broadcast; a bad vocabulary fails here, on the driver."""
     ranks = read_ranks(ranks_path)
     vocab = sorted(ranks, key=ranks.__getitem__)
-    model_bytes(ranks)  # a bad vocabulary fails here, on the driver
-    digest = hashlib.sha256(b"\n".join(map(base64.b64encode, vocab))).hexdigest()
-    blob = df.sparkSession.sparkContext.broadcast(vocab)
+    model_bytes(ranks)
+    return hashlib.sha256(b"\n".join(map(base64.b64encode, vocab))).hexdigest(), df.sparkSession.sparkContext.broadcast(vocab)
+
+
+def count_frame(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_tokens."""
+    digest, blob = _shipped(df, ranks_path)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = _codec(digest, _Shared(blob), pattern)
+        n = [codec.count(raw.as_py().decode("utf-8", "replace")) for raw in batch.column("__text")]
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64())})
+
+    kind = df.schema[doc_id].dataType.simpleString()
+    return map_batches(df.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("__text")), run, f"doc_id {kind}, n_tokens long")
+
+
+def encode_frame(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, ids: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``ids`` also the id array."""
+    digest, blob = _shipped(df, ranks_path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = _codec(digest, _Shared(blob), pattern)

@@ -12,11 +12,16 @@ are dealt to shards of bounded size and packed per shard, longest first:
 * when all items are placed, each bin shrinks to the smallest permitted capacity
   that holds its contents.
 
-Lengths are words (runs of characters other than ASCII white space) unless a
-length column is given.
-
-Defined results: a null or blank text has no tokens and gets one row without a
-bin.  Rows that repeat an id are packed each; other input columns are ignored.
+Lengths are tokens of a byte-level BPE vocabulary where its rank file is given,
+or the numbers in a length column, else words (runs of characters other than
+ASCII white space).
+
+Defined results: a null or empty text has no tokens and gets one row without a
+bin, as has a blank one where lengths are words.  A text longer than the largest
+capacity is cut.  Of equal lengths the row that is read first is placed first, so
+bins, but not their contents' sum, depend on how the table lies in files.  Rows
+that repeat an id are packed each; an empty table gives no rows; other input
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stringloom.llm.byte_bpe import count_frame
 from stringloom.llm.common import as_bytes, checkpoint, map_batches
 
 CAPACITIES = (256, 512, 1024, 2048)
@@ -98,13 +104,17 @@ def lengths(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return map_batches(df.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("__text")), run, f"doc_id {kind}, n_tokens long")
 
 
-def best_fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: str | None = None, capacities=CAPACITIES, shard: int = SHARD, overhead: int = OVERHEAD, quadratic: int = QUADRATIC) -> DataFrame:
+def best_fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: str | None = None, ranks: str | None = None, pattern: str | None = None, capacities=CAPACITIES, shard: int = SHARD, overhead: int = OVERHEAD, quadratic: int = QUADRATIC) -> DataFrame:
     """One row per piece of each input row: doc_id, piece, piece_start, n_tokens, bin_id, bin_offset, bin_capacity.
 
+    ``ranks`` is the path of a rank file and ``pattern`` what its vocabulary splits texts by.
     ``piece_start`` and ``n_tokens`` are in tokens of the text, ``bin_offset`` in tokens of the bin.
     """
     top = max(capacities)
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("n_tokens")) if length else lengths(df, doc_id, text)
+    if length:
+        rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("n_tokens"))
+    else:
+        rows = count_frame(df, ranks, pattern, doc_id, text) if ranks else lengths(df, doc_id, text)
     rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
     full = rows.filter(F.col("n_tokens") >= top).select(
         "row", "doc_id", F.explode(F.expr(f"sequence(0, cast(n_tokens div {top} as int) - 1)")).alias("piece")

@@ -208,6 +208,54 @@ def test_packing_places_every_token_once(spark, docs):
     assert sum(r.n_tokens for r in given_len.collect()) == sum(len(t or "") for _, t, *_ in AWKWARD)
 
 
+def test_packing_by_tokens(spark, docs, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = write_ranks(tmp_path / "r.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=byte_bpe.SPACE_LED, mergeable_ranks=PLAIN, special_tokens={})
+    got, want = {}, {}
+    for r in packing.best_fit(docs, ranks=ranks, pattern=byte_bpe.SPACE_LED).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+    for i, t, *_ in AWKWARD:
+        want[i] = want.get(i, 0) + len(enc.encode_ordinary(t or ""))
+    assert got == want
+    codec = byte_bpe.Codec(PLAIN, byte_bpe.SPACE_LED, memo=4)
+    for t in (" the word", "the  word", "the \n word ", " the  x", "'s 'll don't", "  ", "the\n the", "\x1c the \x1f", "", "now " * 50):
+        assert codec.count(t) == len(codec.encode(t)) // 4
+
+
+def pack_brute(sizes, caps, overhead, quadratic):
+    """Best fit with a joint choice of bin size, as the docstring says, by plain loops."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    bins, placed = [], {}
+    for k, i in enumerate(order):
+        n = sizes[i]
+        open_ = [(cap - sum(own), b) for b, (cap, own) in enumerate(bins) if cap - sum(own) >= n]
+        if open_:
+            b = min(open_)[1]
+        else:
+            def cost(c):
+                room = c - n
+                for m in (sizes[j] for j in order[k + 1 :]):
+                    room -= m if m <= room else 0
+                return (overhead + c + c * c / quadratic) / (c - room), c
+
+            b = len(bins)
+            bins.append((min((c for c in caps if c >= n), key=cost), []))
+        placed[i] = (b, sum(bins[b][1]))
+        bins[b][1].append(n)
+    return [(*placed[i], min(c for c in caps if c >= sum(bins[placed[i][0]][1]))) for i in range(len(sizes))]
+
+
+def test_packing_against_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        caps = sorted(rng.sample(range(4, 60), 3))
+        sizes = [rng.randint(1, caps[-1]) for _ in range(rng.randint(1, 60))]
+        assert packing.pack(sizes, caps, 3, 40) == pack_brute(sizes, caps, 3, 40)
+
+
 def test_packing_is_tight():
     import random
 
