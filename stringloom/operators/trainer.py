@@ -8,55 +8,48 @@ dictionaries.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.operators.config import MAX_TOKEN, Controller, DynamicThreshold, TrainingConfig, max_dict_size
+from stringloom.operators.config import MAX_TOKEN, DynamicThreshold, TrainingConfig, max_dict_size, merge_count
 from stringloom.operators.dictionary import Dictionary, Matcher
 
 
 def train(rows: Iterable[bytes], config: TrainingConfig, total: int | None = None) -> Dictionary:
     """Merge adjacent tokens of ``rows``, read in order; ``total`` bytes set the budget (all of the rows by default)."""
-    rows = list(rows)
-    match = Matcher({bytes([b]): b for b in range(256)})
-    vocab = [bytes([b]) for b in range(256)]
+    rows = [r for r in rows if r]
     room = max_dict_size(config.bits) - 256
-    steer = Controller(config.threshold, sum(map(len, rows)) if total is None else total, room)
-    seen: dict[int, int] = {}
-
-    def read(row: bytes) -> bool:
-        """One row; false when training is over."""
-        at, last = 0, -1
-        while at < len(row):
+    if isinstance(config.threshold, DynamicThreshold):
+        left = int((sum(map(len, rows)) if total is None else total) * config.threshold.sample_fraction)
+        wanted = merge_count(b"".join(rows)[:left], room)
+    else:
+        left, wanted = sum(map(len, rows)), config.threshold.value
+    vocab = [bytes([b]) for b in range(256)]
+    match = Matcher({b: i for i, b in enumerate(vocab)})
+    seen: Counter[tuple[int, int]] = Counter()
+    for row in rows:
+        if left <= 0 or len(vocab) == 256 + room:
+            break
+        row = row[:left]
+        left -= len(row)
+        at, last = 0, None
+        while at < len(row) and len(vocab) < 256 + room:
             token, n = match.longest(row, at)
             at += n
-            if not steer.read(n):
-                return False
-            if last >= 0 and len(vocab[last]) + n <= MAX_TOKEN:
-                pair = last << 16 | token
-                count = min(255, seen.get(pair, 0) + 1)
-                if count >= steer.value:
-                    seen.pop(pair, None)
-                    # It may have been made before, from another pair of parts.
+            if last is not None and len(vocab[last]) + n <= MAX_TOKEN:
+                seen[last, token] += 1
+                if seen[last, token] >= wanted:
+                    del seen[last, token]
                     grown = vocab[last] + vocab[token]
-                    if (known := match.ids.get(grown)) is None:
-                        known = len(vocab)
-                        match.add(grown, known)
+                    token = match.ids.get(grown)
+                    if token is None:  # else it was made before, from other parts
+                        token = len(vocab)
                         vocab.append(grown)
-                        if len(vocab) - 256 >= room:
-                            return False
-                        steer.merged()
-                    last = known
-                    continue
-                seen[pair] = count
+                        match.add(grown, token)
             last = token
-        return True
-
-    for row in rows:
-        if row and not read(row):
-            break
     return Dictionary(sorted(vocab))
 
 

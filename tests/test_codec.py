@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stringloom.operators.config import Controller, DynamicThreshold, FixedThreshold, TrainingConfig, is_valid_bits, max_dict_size
+from stringloom.operators.config import DynamicThreshold, FixedThreshold, TrainingConfig, is_valid_bits, max_dict_size, merge_count
 from stringloom.operators.dictionary import Dictionary
 from stringloom.operators.trainer import train
 from stringloom.sources.blob import pack_bits, read_blob, unpack_bits, write_blob
@@ -75,18 +75,25 @@ def test_bad_thresholds():
     assert not is_valid_bits(8) and is_valid_bits(9) and is_valid_bits(16) and not is_valid_bits(17)
 
 
-def test_controller_steers_both_ways():
-    c = Controller(DynamicThreshold(1.0), 1_000_000, 6400)
-    for _ in range(64):
-        c.read(1)
-        c.merged()
-    assert c.value == 3
-    c.scanned += 900_000
-    c.made = c.mark_made = 6000
-    c.mark_scanned = 64
-    for _ in range(64):
-        c.merged()
-    assert c.value == 2
+def test_merge_count_follows_the_sample():
+    """It is the largest count that gives the merges asked for, grows with the text and falls with the room."""
+    text = b"".join(corpus(400, 60, 3, 97, 103))
+    pairs = {}
+    for i in range(len(text) - 1):
+        pairs[text[i : i + 2]] = pairs.get(text[i : i + 2], 0) + 1
+    merges = lambda k: sum(c // k for c in pairs.values() if c > 1)
+    for room in (5, 40, 300):
+        k = merge_count(text, room)
+        assert k >= 2 and (k == 2 or merges(k) >= 4 * room) and merges(k + 1) < 4 * room
+    assert merge_count(text * 10, 40) > merge_count(text, 40) > merge_count(text, 300)
+    assert merge_count(b"", 9) == merge_count(b"a", 9) == merge_count(b"abcdef", 9) == 2
+
+
+def test_training_reads_no_more_than_its_share():
+    head, tail = corpus(300, 60, 4, 97, 100), corpus(2000, 60, 5, 110, 120)
+    share = sum(map(len, head)) / sum(map(len, head + tail))
+    d = train(head + tail, TrainingConfig(bits=12, threshold=DynamicThreshold(share)))
+    assert len(d) > 300 and not any(len(t) > 1 and t[0] >= 110 for t in d.tokens)
 
 
 def test_greedy_longest_match():
