@@ -22,7 +22,9 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     ``edges`` holds two columns of one type; direction, repeats and loops do not
     matter.  Rows with a null end are ignored.  ``root`` is one node of the
     component.  A hub is harmless: its edges are combined before the shuffle, and
-    the joins are plain equi-joins that adaptive execution splits.
+    the joins are plain equi-joins that adaptive execution splits.  They are merge
+    joins at any size, as the many small tables of the rounds would otherwise pass
+    through the driver as broadcasts.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a != b").distinct()
     e, steps = checkpoint(e), []
@@ -33,12 +35,23 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         step = both.groupBy("a").agg(F.min(order("b")).alias("m"))
         step = checkpoint(step.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["id"].alias("to")))
         steps.append(step)
-        e = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
-        e = e.join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        e = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")).hint("merge"), "a")
+        e = e.join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")).hint("merge"), "b")
         e = checkpoint(e.select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a != b").distinct())
     if not steps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[0].select("node", F.col("to").alias("root"))
     for step in steps[1:]:
-        out = out.join(step.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        out = out.join(step.select(F.col("node").alias("root"), "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     return out
+
+
+def extended(root: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further ``links`` (a, b); only the classes that they join are worked on."""
+    links = links.select("a", "b").distinct()
+    named = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")).hint("merge")
+    joined = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(*(F.coalesce(f"r{c}", c).alias(c) for c in "ab"))
+    over = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(root.hint("merge"), "node", "left_anti")
+    every = root.select("node", "root").unionByName(fresh.select("node", F.col("node").alias("root")))
+    return checkpoint(every.join(over.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))

@@ -47,11 +47,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from stringloom.llm.packing import best_fit
 
-    return best_fit(table(spark, sf_dir, "documents"), ranks=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return best_fit(table(spark, sf_dir, "documents"))  # by words; the pipeline's stage packs tokens
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

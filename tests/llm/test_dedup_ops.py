@@ -144,6 +144,13 @@ def test_bit_sliced_comparison(radius):
     assert label.tolist() == want
 
 
+def by_root(root):
+    out = {}
+    for n, r in root.items():
+        out.setdefault(r, set()).add(n)
+    return out
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 80)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)] + [(7, 7), (5, None), (61, 60)]
@@ -158,6 +165,9 @@ def test_components(spark):
         by.setdefault(c, set()).add(got[n])
     assert all(len(r) == 1 for r in by.values()) and len(set().union(*by.values())) == len(by)
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    half = common.checkpoint(graph.components(spark.createDataFrame(edges[:90], "a bigint, b bigint")))
+    grown = {r.node: r.root for r in graph.extended(half, spark.createDataFrame(edges[90:], "a bigint, b bigint").filter("b is not null")).collect()}
+    assert {frozenset(n for n in grown if grown[n] == r) for r in set(grown.values())} - {frozenset([7])} == set(map(frozenset, by_root(got).values()))
 
 
 def windows_brute(h, t):

