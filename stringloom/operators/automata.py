@@ -6,8 +6,10 @@ Lifted to a dictionary, a token moves a state by all its bytes at once.  The
 state's row when that state is first met, ``online`` keeps no table and steps
 through the bytes.  All three give the same results.
 
-``scan_batch`` runs automata over many rows at a time: the states of all rows
-advance together, token position by token position, with one table lookup each.
+``scan_batch`` runs automata over many rows at a time.  Substring automata start
+wherever a token leaves their start state, all such places of all rows together,
+so a long row costs what its bytes do.  The others, which settle within the length
+of their pattern, advance row by row, token position by token position.
 """
 
 from __future__ import annotations
@@ -70,10 +72,15 @@ class PatternTrie:
 
 
 class ByteAutomaton:
-    """delta (states x 256), accepting states, and the states that cannot be left."""
+    """delta (states x 256), accepting states, and the states that cannot be left.
 
-    def __init__(self, delta: np.ndarray, accept: np.ndarray, start: int = 0):
-        self.delta, self.accept, self.start = delta, accept, start
+    ``depth``, where given, says that the automaton looks for patterns anywhere:
+    a state stands for the longest end of the input that begins a pattern, and
+    this is its length.
+    """
+
+    def __init__(self, delta: np.ndarray, accept: np.ndarray, start: int = 0, depth: np.ndarray | None = None):
+        self.delta, self.accept, self.start, self.depth = delta, accept, start, depth
         self.final = (delta == np.arange(len(delta))[:, None]).all(axis=1)
 
     @classmethod
@@ -81,16 +88,17 @@ class ByteAutomaton:
         """Accepts what contains one of the patterns; it stays accepting from then on."""
         trie = patterns if isinstance(patterns, PatternTrie) else PatternTrie(patterns)
         delta = np.zeros((trie.num_states, 256), dtype=np.int32)
+        depth = np.zeros(trie.num_states, dtype=np.int64)
         for b, child in trie.edges[0].items():
-            delta[0, b] = child
+            delta[0, b], depth[child] = child, 1
         for node in trie.order:
             delta[node] = delta[trie.fail[node]]
             for b, child in trie.edges[node].items():
-                delta[node, b] = child
+                delta[node, b], depth[child] = child, depth[node] + 1
         accept = np.array(trie.accepting)
         hit = np.flatnonzero(accept)
         delta[hit] = hit[:, None]
-        return cls(delta, accept)
+        return cls(delta, accept, depth=depth)
 
     @classmethod
     def substring(cls, pattern: bytes) -> ByteAutomaton:
@@ -166,7 +174,39 @@ class Lifted:
 
 
 def scan_batch(automata: list[Lifted], values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each automaton the verdicts of the rows values[offsets[i] : offsets[i + 1]], in one pass over the tokens."""
+    """For each automaton the verdicts of the rows values[offsets[i] : offsets[i + 1]]."""
+    walked = [a for a in automata if a.bytes.depth is None or a.final[a.bytes.start]]
+    verdicts = iter(_walk(walked, values, offsets))
+    return [next(verdicts) if a in walked else _search(a, values, offsets) for a in automata]
+
+
+def _search(a: Lifted, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rows that hold a pattern.
+
+    A match begins in a token that leaves the start state.  From each such token
+    a run goes on while its state still reaches back into that token; what begins
+    later is left to the run of its own token.
+    """
+    low, high, start = offsets[0], offsets[-1], a.bytes.start
+    found, size = np.zeros(len(offsets) - 1, dtype=bool), a.dictionary.lengths
+    seen = np.flatnonzero(np.bincount(values[low:high], minlength=len(size)))
+    after = np.full(len(size), start, dtype=np.int32)
+    after[seen] = a.step(np.full(len(seen), start, dtype=np.int32), seen)
+    at = np.flatnonzero((after != start)[values[low:high]]) + low
+    row, state, read = np.searchsorted(offsets, at, "right") - 1, after[values[at]], np.zeros(len(at), dtype=np.int64)
+    while len(at):
+        found[row[a.accept[state]]] = True
+        live = (a.bytes.depth[state] > read) & (at + 1 < offsets[row + 1]) & ~found[row]
+        at, row, state, read = at[live] + 1, row[live], state[live], read[live]
+        read += size[values[at]]
+        state = a.step(state, values[at])
+    return found
+
+
+def _walk(automata: list[Lifted], values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Verdicts of automata that step through the rows together, in one pass over the tokens."""
+    if not automata:
+        return []
     size = np.diff(offsets)
     order = np.argsort(-size, kind="stable")  # rows still running are a prefix
     states = [np.full(len(size), a.bytes.start, dtype=np.int32) for a in automata]

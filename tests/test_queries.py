@@ -9,11 +9,9 @@ from stringloom.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-#: Twins of raw queries on tokens; one in three keeps this quick.
-NAMES = [n for i, n in enumerate(QUERIES) if not n.startswith("encoded_") or i % 3 == 0]
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_oracle(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
