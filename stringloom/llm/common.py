@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -47,6 +48,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage between the steps of a long job.
+
+    Spark deletes the shuffles and checkpoints of a finished step only once the
+    driver's collector has found them unused, which a large heap puts off.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to every Arrow batch of ``df``; a batch is the unit of memory."""
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import checkpoint
+from stringloom.llm.common import checkpoint, release
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -38,6 +38,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         e = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")).hint("merge"), "a")
         e = e.join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")).hint("merge"), "b")
         e = checkpoint(e.select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a != b").distinct())
+        if k % 2:
+            release(e.sparkSession)
     if not steps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[0].select("node", F.col("to").alias("root"))
