@@ -151,15 +151,15 @@ def lanes_within_any(planes: np.ndarray, query: np.ndarray, word: np.ndarray, la
     return at[lanes != 0], lanes[lanes != 0]
 
 
-def _tasks(end: np.ndarray):
-    """(query, word, eligible lanes), some TASKS at a time, to compare every i with i + 1 ... end[i] - 1."""
+def _tasks(end: np.ndarray, tasks: int = TASKS):
+    """(query, word, eligible lanes), some ``tasks`` at a time, to compare every i with i + 1 ... end[i] - 1."""
     lane = np.arange(len(end))
     has = np.flatnonzero(end > lane + 1)
     first, last = (has + 1) // 64, (end[has] - 1) // 64
     upto = np.cumsum(last - first + 1)
     low = 0
     while low < len(has):
-        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + TASKS, "right")))
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + tasks, "right")))
         reps = (last - first + 1)[low:high]
         q = np.repeat(has[low:high], reps)
         w = np.repeat(first[low:high], reps) + np.arange(len(q)) - np.repeat(np.cumsum(reps) - reps, reps)
@@ -174,18 +174,23 @@ def _pairs(query: np.ndarray, word: np.ndarray, lanes: np.ndarray) -> tuple[np.n
     return query[t], word[t] * 64 + k
 
 
-def near_lanes(fps: np.ndarray, end: np.ndarray, radius: int, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j < end[i], of fingerprints within ``radius``, and all such pairs with i or j in ``every``."""
-    planes, found = planes_of(fps), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+def near_parts(fps: np.ndarray, end: np.ndarray, radius: int, every: np.ndarray, tasks: int = TASKS >> 3):
+    """Pairs (i, j), i < j < end[i], of fingerprints within ``radius``, and all such pairs with i or j in ``every``; at most 64 ``tasks`` at a time, or those of one i."""
+    planes = planes_of(fps)
     some = np.zeros(planes.shape[1] * 64, dtype=np.uint8)
     some[: len(every)] = every
     some = np.packbits(some, bitorder="little").view(np.uint64)
-    for q, w, lanes in _tasks(end):
+    for q, w, lanes in _tasks(end, tasks):
         near = np.where(every[q], lanes, lanes & some[w])
         hit, own = lanes_within_any(planes, fps[q], w, lanes, radius)
         near[hit] |= own
-        found.append(_pairs(q, w, near))
-    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+        yield _pairs(q, w, near)
+
+
+def near_lanes(fps: np.ndarray, end: np.ndarray, radius: int, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All of ``near_parts`` at once, for short lists."""
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(v) for v in zip((none, none), *near_parts(fps, end, radius, every), strict=True))
 
 
 def forest(fps: np.ndarray, group: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
