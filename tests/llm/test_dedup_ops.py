@@ -170,6 +170,27 @@ def test_components(spark):
     assert {frozenset(n for n in grown if grown[n] == r) for r in set(grown.values())} - {frozenset([7])} == set(map(frozenset, by_root(got).values()))
 
 
+@pytest.mark.parametrize("block", [16, 200, 1 << 20])
+def test_components_in_blocks_of_any_size(spark, block):
+    rng = random.Random(block)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randint(-700, -300), rng.randint(-700, -300)) for _ in range(170)]
+    rng.shuffle(edges)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[find(a)] = find(b)
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), block=block).collect()}
+    assert set(got) == set(root)
+    pairs = {(find(x), got[x]) for x in got}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 def windows_brute(h, t):
     out = set()
 
