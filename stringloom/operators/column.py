@@ -13,7 +13,7 @@ from stringloom.operators.config import TrainingConfig
 from stringloom.operators.dictionary import Dictionary
 from stringloom.operators.encode import bytes_of, tokens_of
 from stringloom.operators.ordering import running
-from stringloom.operators.shared import checkpoint
+from stringloom.operators.shared import bounded, checkpoint
 from stringloom.operators.trainer import train_dictionary, value_bytes
 from stringloom.plans.predicate import Contains, ContainsAny, Equals, Predicate, StartsWith, custom
 
@@ -41,6 +41,9 @@ class EncodedColumn:
     bits: int = 16
     text: bool = True  # values are STRING, not BINARY
 
+    def __post_init__(self):
+        bounded(self.df)
+
     @property
     def tokens(self) -> Column:
         return F.col(TOKENS)

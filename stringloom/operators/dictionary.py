@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -156,9 +157,12 @@ class Dictionary:
         """The tokens that encoding gives ``text``."""
         return self.matcher.encode(text.encode() if isinstance(text, str) else bytes(text))
 
+    def parsed(self, data: bytes) -> Iterator[int]:
+        """The same tokens one by one, for bulk encoding: every byte is a token, so leftmost longest matches leave no gap."""
+        return (t for _, t in self.automaton.iter_long(data.decode("latin-1")))
+
     def parse(self, data: bytes) -> list[int]:
-        """The same tokens, for bulk encoding: every byte is a token, so leftmost longest matches leave no gap."""
-        return [t for _, t in self.automaton.iter_long(data.decode("latin-1"))]
+        return list(self.parsed(data))
 
     def decode(self, tokens) -> bytes:
         return b"".join(map(self.tokens.__getitem__, tokens))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stringloom.operators.column import TOKENS
 from stringloom.operators.dictionary import Dictionary
 from stringloom.operators.encode import tokens_of
+from stringloom.operators.shared import bounded
 from stringloom.operators.trainer import value_bytes
 from stringloom.plans.predicate import Predicate
 
@@ -23,9 +24,9 @@ def filter_rows(df: DataFrame, col: str, predicate: Predicate) -> DataFrame:
 
 def encode_stream(df: DataFrame, col: str, dictionary: Dictionary) -> DataFrame:
     """The stream with ``tokens`` in place of ``col``, under a dictionary trained before."""
-    return df.withColumn(TOKENS, tokens_of(value_bytes(df, col), dictionary)).drop(col)
+    return bounded(df).withColumn(TOKENS, tokens_of(value_bytes(df, col), dictionary)).drop(col)
 
 
 def scan_encoded(df: DataFrame, predicate: Predicate, dictionary: Dictionary) -> DataFrame:
     """Encoded rows of a stream that satisfy the predicate."""
-    return df.filter(predicate.tokens(F.col(TOKENS), dictionary))
+    return bounded(df).filter(predicate.tokens(F.col(TOKENS), dictionary))

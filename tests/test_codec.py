@@ -190,3 +190,69 @@ def test_bulk_parse_under_a_full_dictionary():
     d = with_base(*sorted(more)[: (1 << 16) - 256])
     for row in corpus(50, 400, 9, 0, 255) + [b"".join(rng.sample(d.tokens, 60)) for _ in range(20)]:
         assert d.parse(row) == d.tokenize(row)
+
+
+def test_decoding_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from stringloom.operators import encode
+
+    values = pa.array([b"", b"user_000001", None, b"", b"x" * 99, b"\xff\x00", *MIXED, b"", None], pa.binary())
+    tokens = encode.encode_array(values, D)
+    for part in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(encode, "PART", part)
+        for start in range(len(values)):
+            assert encode.decode_array(tokens[start:], D).to_pylist() == values[start:].to_pylist()
+
+
+def test_a_batch_is_not_held_as_python_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from stringloom.operators.encode import decode_array, encode_array
+
+    rng = random.Random(3)
+    values = pa.array([b"".join(rng.choices(D.tokens, k=2000)) for _ in range(200)], pa.binary())
+    small = encode_array(values[:1], D)  # the automaton and the arrays are made before
+    assert decode_array(small, D)[0] == values[0]
+    tracemalloc.start()
+    try:
+        tokens = encode_array(values, D)
+        encoding = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        assert decode_array(tokens, D).equals(values)
+        decoding = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    n = len(tokens.values)
+    assert n > 250_000
+    assert encoding < 12 * n  # 4 bytes a token and room to grow
+    assert decoding < 12 * n + (8 << 20)  # the tokens, the values, one part
+
+
+def test_workers_are_given_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from stringloom.operators.column import encode_column
+    from stringloom.streaming.scan import encode_stream
+
+    @F.arrow_udf("long")
+    def size(batch: pa.Array) -> pa.Array:
+        return pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(name)
+    df = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("user_"), 20_000).alias("v"))
+    makers = (lambda: encode_column(df, "id", "v", TrainingConfig(bits=10), D).df, lambda: encode_stream(df, "v", D))
+    try:
+        for make in makers:
+            spark.conf.set(name, "67108864b")  # Spark's default
+            make()
+            assert df.select(size("v").alias("n")).agg(F.max("n")).first()[0] <= (4 << 20) + 200_000
+            spark.conf.set(name, "1000000")  # the user's own
+            make()
+            assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.set(name, found)
